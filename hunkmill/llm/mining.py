@@ -266,7 +266,7 @@ def frequent_patterns(
     if hot:
         spread = seqs.filter(F.col("entity").isin(hot)).distinct()
         keyed = spread.select("entity", "seq", F.explode(F.array_distinct("seq")).alias("pivot")).withColumn("salt", F.pmod(F.xxhash64("entity", "seq"), F.lit(64)))
-        salted = cand.select("pivot", "items", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("bigint").alias("salt"))
+        salted = cand.select("pivot", "items", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("salt"))
 
         def held(key, left, right):
             import pyarrow as pa
