@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkmill.llm import bpe, copies, mining
+from hunkmill.llm import bpe, copies, leaks, mining
 from hunkmill.sources.tables import table
 
 
@@ -29,4 +29,12 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p5_found, p5_copy_counts, p6_ids)}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_paraphrased(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.paraphrased(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased)}
