@@ -53,7 +53,7 @@ class Tables:
 
     def __init__(self, grammar: str):
         rules, shift = _read(grammar)
-        start = rules[0][0]
+        start = next(w[0] for w in map(str.split, grammar.split(" ;\n")) if w and w[0] != "%shift")
         rules = [("$start", (start, END)), *rules]
         heads: dict[str, list[int]] = {}
         for i, (h, _) in enumerate(rules):
