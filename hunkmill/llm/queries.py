@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkmill.llm import bpe, copies, leaks, mining
+from hunkmill.llm import bpe, copies, leaks, mining, names
 from hunkmill.sources.tables import table
 
 
@@ -17,6 +17,11 @@ def p1_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return mining.change_patterns(table(spark, folder, "diffs")).select(F.array_join("pattern", " ").alias("pattern"), "support")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    fields = names.committers(*(table(spark, folder, t) for t in ("change_data", "base_metadata", "target_metadata")))
+    return names.variants(fields, table(spark, folder, "name_forms"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(table(spark, folder, "hunk_records"))
 
@@ -37,4 +42,4 @@ def p7_paraphrased(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.paraphrased(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased)}

@@ -1,0 +1,29 @@
+import pytest
+from pyspark.sql import SparkSession
+
+from hunkmill.llm import names
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+
+
+def test_distance_counts_a_swap_once_and_stays_in_its_band():
+    assert names.distance("gramozap", "garmozap") == 1
+    assert names.distance("abc", "abc") == 0
+    assert names.distance("abcd", "badc") == 2
+    assert names.distance("garmozap", "falvenus") == 2
+
+
+def test_variants_of_people_and_organisations(spark):
+    spelled = [
+        "Katherine Garmozap", "K. Garmozap", "Katherine Gramozap", "Garmozap, K.", "kate garmozap", "kgarmozap",
+        "Francisco Maramrol", "Ignacio Maramrol", "Nacho Maramrol",
+        "Lunnemot Systems", "The Lunnemot Systems Team", "Systems team, Lunnemot", "", None,
+    ]
+    groups = [spelled[:6], spelled[6:7], spelled[7:9], spelled[9:12]]
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+    fields = spark.createDataFrame([(x,) for x in spelled], "name string")
+    short = spark.createDataFrame([("Katherine", "Kate")], "given_name string, short_form string")
+    assert {tuple(r) for r in names.variants(fields, short).collect()} == want
