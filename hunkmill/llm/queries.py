@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkmill.llm import bpe, copies, leaks, mining, names
+from hunkmill.llm import bpe, copies, leaks, mining, names, reading
 from hunkmill.sources.tables import table
 
 
@@ -42,4 +42,8 @@ def p7_paraphrased(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.paraphrased(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}

@@ -1,0 +1,15 @@
+from pyspark.sql import SparkSession
+
+from hunkmill.llm import reading
+
+EASY, HARD = "We fix the bad code now. ", "Notwithstanding the referential commutativity, it remains indispensable. "
+
+
+def test_every_english_document_of_forty_words_gets_its_level():
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+    rows = [(i, (EASY if i % 2 else HARD) * 8, "en") for i in range(8)]
+    rows += [(8, EASY * 6, "en"), (9, EASY * 7, "en"), (10, HARD * 9, "de"), (11, None, "en"), (12, HARD * 9, "en")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, "r", 1 if i % 2 else 4) for i in range(8)], "doc_id bigint, rater string, reading_level int")
+    got = {r[0]: r[1] for r in reading.reading_levels(documents, labels).collect()}
+    assert got == {**{i: 1 if i % 2 else 4 for i in range(8)}, 9: 1, 12: 4}
