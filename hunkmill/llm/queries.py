@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkmill.llm import bpe, copies, leaks, mining, names, reading
+from hunkmill.llm import bpe, copies, leaks, mining, names, produced, reading
 from hunkmill.sources.tables import table
 
 
@@ -22,6 +22,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.variants(fields, table(spark, folder, "name_forms"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return produced.not_by_hand(table(spark, folder, "source_files"))
+
+
+def p4_named_files(spark: SparkSession, folder: str) -> DataFrame:
+    return produced.flagged_names(*(table(spark, folder, t) for t in ("files", "diffs", "hunk_records")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copies(table(spark, folder, "hunk_records"))
 
@@ -46,4 +54,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p4_found, p4_named_files, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}
