@@ -6,8 +6,8 @@ import re
 
 GRAMMAR = """
 %shift else ;
-unit : package? import_decl* type_or_semi* ;
-package : package_head qname ';' ;
+unit : package_part? import_decl* type_or_semi* ;
+package_part : package_head qname ';' ;
 package_head : annotation* package ;
 import_decl : import static? qname ';' | import static? qname . STAR ';' ;
 type_or_semi : type_decl | ';' ;
@@ -35,10 +35,10 @@ tparam : annotation* name | annotation* name extends bounds ;
 bounds : type | bounds AND type ;
 class_body : { class_member* } ;
 class_member : ';' | block | static block | modifier* member | type_decl ;
-member : type declarators ';' | tparams? type name ( params ) dims? throws? method_body
- | tparams? void name ( params ) throws? method_body | tparams? name ( params ) throws? block | name block ;
+member : type declarators ';' | tparams? type name ( params ) dims? throws_part? method_body
+ | tparams? void name ( params ) throws_part? method_body | tparams? name ( params ) throws_part? block | name block ;
 method_body : block | ';' | default annotation_value ';' ;
-throws : throws type_list ;
+throws_part : throws type_list ;
 enum_body : { enum_constants? enum_rest? } | { enum_constants , enum_rest? } | { , enum_rest? } ;
 enum_constants : enum_constant | enum_constants , enum_constant ;
 enum_constant : annotation* name args? class_body? ;

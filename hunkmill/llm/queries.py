@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hunkmill.llm import bpe, copies, leaks, mining, names, produced, reading
+from hunkmill.llm.parsing import validity
 from hunkmill.sources.tables import table
 
 
@@ -22,6 +23,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return names.variants(fields, table(spark, folder, "name_forms"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return validity.unparsable(table(spark, folder, "source_files"))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return validity.rates(table(spark, folder, "source_files"), table(spark, folder, "files"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return produced.not_by_hand(table(spark, folder, "source_files"))
 
@@ -54,4 +63,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p4_found, p4_named_files, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p3_found, p3_rates, p4_found, p4_named_files, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}
