@@ -173,6 +173,8 @@ def frequent_patterns(
     4. Supports of candidates that some blocks did not report are counted exactly in those blocks' sequences, and all are summed.
     5. Entities with more than ``hot_rows`` distinct sequences and over 1/200 of all (at most 200 entities) are spread over tasks by
        sequence; as each adds at most 1 to a support, candidates are mined with the support less by their number and then counted.
+       Where they are as many as the support, a pattern may live in them alone: then half the support is asked of the others, and the
+       patterns that have the other half among the hot entities are mined from their sequences, level by level, and counted too.
 
     Entities travel as 64-bit hashes. Rows with a null entity, null or empty sequences give nothing; null items are left out; repeated rows change
     nothing; empty tables give an empty result; extra columns are ignored.
@@ -232,8 +234,9 @@ def frequent_patterns(
     # a block has its share of the entities that carry sequences
     shares = {r["block"]: r["n"] for r in cold.select("entity").distinct().groupBy(F.pmod(F.xxhash64("entity"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()}
     everyone = max(1, sum(shares.values()))
-    low = max(1, least - len(hot))
-    local = {b: max(1, -(-low * n // everyone)) for b, n in shares.items()}
+    alone = len(hot) >= least
+    low = -(-least // 2) if alone else least - len(hot)
+    local = {b: max(1, -(-low * n // everyone)) for b, n in shares.items()} or {0: 1}
 
     def mine(key, tab):
         import pyarrow as pa
@@ -251,7 +254,16 @@ def frequent_patterns(
     slack = sum(s - 1 for s in local.values())
     by_block = F.create_map(*[x for b, s in local.items() for x in (F.lit(b), F.lit(s - 1))])
     cand = mined.groupBy("pivot", "items").agg(F.sum("n").alias("n"), F.sum(F.try_element_at(by_block, F.col("block"))).alias("known"), F.collect_set("block").alias("blocks"))
-    cand = cut(cand.filter(F.col("n") + F.lit(slack) - F.col("known") >= low))
+    bound = F.col("n") + F.lit(slack) - F.col("known") >= low
+    if alone:
+        # n < low among the others leaves at least this many to the hot entities
+        extra = _level_wise(seqs.filter(F.col("entity").isin(hot)).distinct(), least - low + 1, min_len, max_len)
+        extra = extra.select(F.array_max("items").alias("pivot"), "items", F.lit(True).alias("extra"))
+        cand = cand.join(extra, ["pivot", "items"], "full").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+        cand = cand.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<int>"))).filter(bound | F.col("extra")).drop("extra")
+        cand = cut(cand)
+    else:
+        cand = cut(cand.filter(bound))
     missing = cand.select("pivot", "items", F.explode(F.array_except(F.array(*[F.lit(b) for b in local]), "blocks")).alias("block"))
 
     def count(key, left, right):
@@ -288,6 +300,47 @@ def frequent_patterns(
     return _named(parts.groupBy("items").agg(F.sum("n").alias("n")), names, least)
 
 
+def _level_wise(spread: DataFrame, need: int, min_len: int, max_len: int) -> DataFrame:
+    """(items array<int>) of the patterns that at least ``need`` entities of ``spread`` hold, each sequence read where it lies.
+
+    Level k extends, in every sequence, the frequent patterns of level k - 1 at their leftmost end; supports are counted by distinct entity.
+    """
+    spark = spread.sparkSession
+    spread = cut(spread)
+    levels: list[set[tuple[int, ...]]] = []
+    out = spark.createDataFrame([], "items array<int>")
+    for k in range(1, max_len + 1):
+        shared = spark.sparkContext.broadcast(levels)
+
+        def extend(batches, shared=shared):
+            import pyarrow as pa
+
+            known = shared.value
+            for b in batches:
+                held: set[tuple[int, tuple[int, ...]]] = set()
+                for one, seq in zip(b.column("entity").to_pylist(), b.column("seq").to_pylist()):
+                    ends: dict[tuple[int, ...], int] = {(): 0}
+                    for level in [*known, None]:
+                        new: dict[tuple[int, ...], int] = {}
+                        for p, end in ends.items():
+                            for at in range(end, len(seq)):
+                                new.setdefault((*p, seq[at]), at + 1)
+                        ends = new if level is None else {p: e for p, e in new.items() if p in level}
+                    held.update((one, p) for p in ends)
+                rows = list(held)
+                yield pa.RecordBatch.from_pydict({"entity": pa.array([e for e, _ in rows], pa.int64()), "items": pa.array([list(p) for _, p in rows], pa.list_(pa.int32()))})
+
+        found = spread.select("entity", "seq").mapInArrow(extend, "entity bigint, items array<int>").distinct()
+        found = cut(found.groupBy("items").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need).select("items"))
+        if k >= min_len:
+            out = out.unionByName(found)
+        if k < max_len:
+            levels = [*levels, {tuple(r[0]) for r in found.toLocalIterator()}]
+            if not levels[-1]:
+                break
+    return out
+
+
 def _named(counts: DataFrame, names: list[str], least: int) -> DataFrame:
     words = F.split(F.lit("\n".join(names)), "\n")  # folded to one constant
     return counts.filter(F.col("n") >= least).select(F.transform("items", lambda i: F.get(words, i)).alias("pattern"), F.col("n").alias("support"))

@@ -1,0 +1,27 @@
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import SparkSession
+
+from hunkmill.llm import mining
+
+
+def model(rows, least):
+    held = {}
+    for entity, seq in rows:
+        for k in (3, 4, 5):
+            for p in combinations(seq, k):
+                held.setdefault(p, set()).add(entity)
+    return {p: len(e) for p, e in held.items() if len(e) >= least}
+
+
+@pytest.mark.parametrize("cold", [0, 6])
+def test_as_many_hot_entities_as_the_support_lose_no_pattern(cold):
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+    rng = random.Random(7)
+    rows = [(f"h{e}", [rng.choice("abcdef") for _ in range(6)]) for e in range(10) for _ in range(6)]
+    rows += [(f"c{e}", [rng.choice("abcdef") for _ in range(6)]) for e in range(cold)]
+    frame = spark.createDataFrame(rows, "entity string, tokens array<string>")
+    got = mining.frequent_patterns(frame, hot_rows=3, min_support=lambda n: 8).collect()
+    assert {tuple(r[0]): r[1] for r in got} == model(rows, 8) != {}
