@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -265,7 +266,8 @@ def paraphrased(
     Passages are PASSAGE words, half overlapping, on both sides. A pair is a candidate at a latent cosine of ``min_cosine``; it is
     kept if the longest common subsequence covers ``min_common`` of the item passage and ``min_answer`` of the item passage's rarest
     quarter of words (its names and figures) stand in the document passage. ``common`` is the best share over the passages, rounded to 6 places.
-    Null and empty texts give no row; a pair comes once.
+    An item of fewer than PASSAGE / 2 words is one passage and meets document passages of its own length. Null and empty texts give no
+    row; a pair comes once.
     """
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)[id_col], dict(items.dtypes)[item_id]
@@ -274,7 +276,7 @@ def paraphrased(
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     step = PASSAGE // 2
 
-    def starts(n: int) -> range:
+    def starts(n: int, step: int = step) -> range:
         return range(0, max(1, n - step), step)
 
     result = None
@@ -282,14 +284,15 @@ def paraphrased(
         if not any(words_of(t) for _, t in part):
             continue
         basis = fit_basis(texts, "text", [t for _, t in part])
-        owner, passages, vecs, rare = [], [], [], []
+        owner, passages, vecs, rare, sizes = [], [], [], [], []
         for key, text in part:
             ids = _numbers(text, basis.terms)
             for lo in starts(len(ids)):
                 p = ids[lo : lo + PASSAGE]
-                if len(p) < step:
+                if not len(p):
                     continue
                 owner.append(key)
+                sizes.append(PASSAGE if len(p) >= step else len(p))
                 passages.append(p.tolist())
                 vecs.append(basis.weighted[p % len(basis.weighted)].sum(0))
                 rare.append(set(sorted(set(p.tolist()), key=lambda t: (-basis.idf[t % len(basis.idf)], t))[: max(1, len(set(p.tolist())) // 4)]))
@@ -297,24 +300,26 @@ def paraphrased(
             continue
         vec = np.array(vecs)
         vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-300)
-        index = spark.sparkContext.broadcast((basis.terms, basis.weighted, owner, passages, vec, rare))
+        by_size = {n: np.flatnonzero(np.array(sizes) == n) for n in sorted(set(sizes))}
+        index = spark.sparkContext.broadcast((basis.terms, basis.weighted, owner, passages, vec, rare, by_size))
 
         def search(batches, index=index):
             import pyarrow as pa
 
-            terms, weighted, owner, passages, vec, rare = index.value
+            terms, weighted, owner, passages, vec, rare, by_size = index.value
             for batch in batches:
                 out: dict[str, list] = {"doc_id": [], "item_id": [], "common": []}
                 for i in range(batch.num_rows):
                     ids = _numbers(batch.column(1)[i].as_py(), terms)
                     best: dict = {}
-                    for block in range(0, len(ids), CHUNK):  # starts are multiples of step, as is CHUNK up to step: passages overlap the seam
-                        some = ids[block : block + CHUNK + PASSAGE]
-                        lows = list(starts(len(some)))
-                        v = np.array([np.where((some[a : a + PASSAGE] >= 0)[:, None], weighted[some[a : a + PASSAGE] % len(weighted)], 0.0).sum(0) for a in lows])
+                    for block, (size, mine) in product(range(0, len(ids), CHUNK), by_size.items()):  # starts are multiples of step, as is CHUNK up to step: passages overlap the seam
+                        some = ids[block : block + CHUNK + size]
+                        lows = list(starts(len(some), max(1, size // 2)))
+                        v = np.array([np.where((some[a : a + size] >= 0)[:, None], weighted[some[a : a + size] % len(weighted)], 0.0).sum(0) for a in lows])
                         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                        for r, c in zip(*np.nonzero(v @ vec.T >= min_cosine)):
-                            seen = some[lows[r] : lows[r] + PASSAGE].tolist()
+                        for r, k in zip(*np.nonzero(v @ vec[mine].T >= min_cosine)):
+                            c = mine[k]
+                            seen = some[lows[r] : lows[r] + size].tolist()
                             if len(rare[c] & set(seen)) < min_answer * len(rare[c]):
                                 continue
                             share = common_subsequence(passages[c], seen) / len(passages[c])

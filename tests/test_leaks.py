@@ -1,0 +1,13 @@
+from pyspark.sql import SparkSession
+
+from hunkmill.llm import leaks
+
+
+def test_a_short_item_is_searched_for_paraphrases():
+    spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+    filler = "the broker keeps one entry for each open session and drops it when the client leaves "
+    long = " ".join(f"w{i} broker lease{i} of stage{i}" for i in range(12))
+    items = spark.createDataFrame([(1, "which port does the copper relay listen on"), (2, long), (3, "")], "item_id bigint, text string")
+    rows = [(1, filler * 3 + "which port would the copper relay listen on " + filler * 3), (2, filler * 6), (3, filler + long + " " + filler), (4, None)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r[0], r[1]) for r in leaks.paraphrased(documents, items).collect()} == {(1, 1), (3, 2)}
