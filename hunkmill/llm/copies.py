@@ -44,6 +44,9 @@ def copy_classes(records: DataFrame, id_col: str = "record_id", payload: str = "
     2. Only the members of the other classes are grouped by the costlier key, a 256-bit digest of the stripped text, which tells
        anagrams apart.
 
+    The digest is computed for all rows in the one parse of the payloads, not only for members of classes with several; the
+    refinement spares the later join and grouping, not the digest.
+
     Rows travel as (id, invariant, digest), never with their text. ``members`` has record_id and digest; ``classes`` has digest, keep_id
     (the smallest record_id) and n. A record_id that is repeated with the same content counts once in n.
     """
