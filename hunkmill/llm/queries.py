@@ -64,3 +64,20 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_patterns, p2_found, p3_found, p3_rates, p4_found, p4_named_files, p5_found, p5_copy_counts, p6_ids, p7_found, p7_paraphrased, p8_found)}
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+_SIDES = """SELECT record_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS doc FROM hunk_records WHERE payload IS NOT NULL"""
+_STRIPPED = f"""SELECT record_id, {{0}} AS a, {{1}} AS b FROM ({_SIDES}) WHERE doc IS NOT NULL AND json_type(doc) = 'OBJECT'
+ AND (json_type(doc -> 'condition') = 'ARRAY' OR json_type(doc -> 'consequent') = 'ARRAY')""".format(
+    *(f"regexp_replace(lower(coalesce(array_to_string(CAST(doc -> '{c}' AS VARCHAR[]), ' '), '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')" for c in ("condition", "consequent"))
+)
+_KEPT = f"SELECT record_id, min(record_id) OVER (PARTITION BY a, b) AS keep_id FROM (SELECT DISTINCT record_id, a, b FROM ({_STRIPPED}) WHERE a <> '' OR b <> '')"
+
+#: SQL for the problems that SQL can express; the others are tested against brute force or held-out rows in tests/llm.
+SQL = {
+    "p5_found": f"SELECT keep_id, record_id AS copy_id FROM ({_KEPT}) WHERE record_id <> keep_id",
+    "p5_copy_counts": f"SELECT keep_id, count(*) AS copies FROM ({_KEPT}) GROUP BY keep_id",
+    "p7_found": f"""WITH g AS (SELECT of, id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT of, id, w, unnest(range(1, len(w) - 10)) AS i FROM (
+ SELECT 'd' AS of, doc_id AS id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, {_WORDS} FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= 12))
+ SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM g a JOIN g b USING (run) WHERE a.of = 'd' AND b.of = 'i'""",
+}
