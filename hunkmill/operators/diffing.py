@@ -11,8 +11,10 @@ import difflib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from hunkmill.functions import files as P
 from hunkmill.functions import tokens as T
@@ -149,9 +151,6 @@ def same_tree(a: str | None, b: str | None) -> bool:
 
 
 def trees_equal(a: Column, b: Column) -> Column:
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([same_tree(p, q) for p, q in zip(x, y, strict=True)])
@@ -161,9 +160,6 @@ def trees_equal(a: Column, b: Column) -> Column:
 
 def escapes_decoded(text: Column) -> Column:
     """Escape sequences written out and the bytes they stand for read as UTF-8; null for what is no such text."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def one(t):
         try:
             return None if t is None else t.encode("utf-8").decode("unicode_escape").encode("latin1").decode("utf-8")

@@ -66,9 +66,9 @@ def prefix_patterns(
             *group, F.array_append("prefix", F.col("id")).alias("prefix"), F.get("items", place - 1)["behind"].alias("left"), "w",
             F.slice("items", place + 1, F.greatest(F.size("items") - place, F.lit(0))).alias("items"),
         ).filter(F.size("items") > 0)
-    schema = sequences.select(*group).schema
     if not found:
-        return sequences.sparkSession.createDataFrame([], schema.add("pattern", "array<string>").add("support", "bigint"))
+        kinds = dict(sequences.dtypes)
+        return sequences.sparkSession.createDataFrame([], ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "pattern array<string>", "support bigint"]))
     union = found[0]
     for more in found[1:]:
         union = union.unionByName(more)

@@ -80,4 +80,5 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     def plain(name: str, kind: str) -> Column:
         return T.rendered(F.col(name)).alias(name) if kind == "array<string>" else F.col(name)
 
-    df.select(*[plain(c, k) for c, k in df.dtypes]).write.mode(mode).option("header", True).csv(path)
+    whole = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*[plain(c, k) for c, k in df.dtypes]).write.mode(mode).options(**whole).csv(path)
