@@ -26,7 +26,7 @@ var_kind : var | let | const ;
 declarators : declarator | declarators , declarator ;
 declarator : binding | binding = assign ;
 for_init : %empty | exprs | variable ;
-for_left : primary | var_kind binding ;
+for_left : lhs | var_kind binding ;
 binding : name | pattern ;
 pattern : '{' '}' | '{' pattern_props '}' | '{' pattern_props , '}' | [ pattern_items ] ;
 pattern_props : pattern_prop | pattern_props , pattern_prop ;
@@ -54,7 +54,7 @@ mods : %empty | mods mod ;
 mod : static | async | get | set | STAR ;
 
 exprs : assign | exprs , assign ;
-assign : cond | arrow | primary = assign | primary AOP assign | yield | yield assign | yield STAR assign ;
+assign : cond | arrow | lhs = assign | lhs AOP assign | yield | yield assign | yield STAR assign ;
 arrow : paren => arrow_body | ( ) => arrow_body | name => arrow_body | async args => arrow_body | async name => arrow_body ;
 arrow_body : assign | body ;
 cond : binary | binary ? assign : assign ;
@@ -62,7 +62,8 @@ binary : unary | binary binop unary ;
 binop : BIN | PM | STAR | in | instanceof ;
 unary : postfix | unop unary ;
 unop : UN | PM | INC | PREINC | typeof | void | delete | await ;
-postfix : primary | primary INC ;
+postfix : primary | lhs INC ;
+lhs : name | primary . any_name | primary [ exprs ] | paren | array | object | new . name | import . name ;
 primary : atom | primary . any_name | primary ?. any_name | primary ?. [ exprs ] | primary ?. args | primary [ exprs ] | primary args | primary template | new_expr ;
 new_expr : new atom | new new_tail args? | new new_atom args ;
 new_atom : atom ;
@@ -109,20 +110,33 @@ _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?P<END>`|\$\{)")
 
 
-def tokens(body: str):
+_CONTROL = frozenset("if for while switch with catch".split())
+
+
+def tokens(body: str, can):
+    """The token stream. ``can`` asks the parser what may come next: it decides whether a slash divides or opens a regular expression.
+
+    ``return`` outside every function body and a line end behind ``throw`` give a token that no parse takes. Not looked at: names that are
+    declared twice, ``??`` beside ``||`` and ``&&``, labels, and rules of strict mode.
+    """
     out: list[tuple[str, int, bool]] = []
     add = out.append
     at, line, n = 0, 1, len(body)
     fresh, prev = False, ""
-    braces: list[str] = []  # "{" or "`" for a template's field
+    braces: list[str] = []  # "{", "f" for a function body, or "`" for a template's field
+    parens: list[str] = []  # what stands before each open parenthesis
+    closed_after, inside = "", 0
     match = _TOKEN.match
     if body.startswith("#!"):
         at = len(body.split("\n", 1)[0])
     while at < n:
+        if out:
+            yield from out
+            out.clear()
         m = match(body, at)
         if m is None:
-            add(("BAD", line, False))
-            return out
+            yield "BAD", line, False
+            return
         kind, text = m.lastgroup, m[0]
         end = m.end()
         if kind == "SPACE":
@@ -142,16 +156,22 @@ def tokens(body: str):
             continue
         if fresh and prev in ("return", "break", "continue"):
             add(("ASI", line, False))
+        elif fresh and prev == "throw" and text not in (":", "("):
+            yield "BAD", line, False
+            return
         if kind == "NAME":
             if text[0] == "#":
                 kind = "PRIVATE"
             elif text in KEYWORDS:
                 kind = "NAME" if prev in (".", "?.") else text
+                if text == "return" and kind == text and not inside and prev in (";", "}", "", ")", "{") and "{" not in braces[:-1] and body[end : end + 1] not in (":", "("):
+                    yield "BAD", line, False
+                    return
         elif kind == "NUMBER":
             nxt = body[end : end + 1]
             if nxt.isalnum() or nxt in ("_", "$") and nxt:
-                add(("BAD", line, False))
-                return out
+                yield "BAD", line, False
+                return
         elif kind == "STRING":
             line += text.count("\n")
         elif kind == "TICK" or text == "}" and braces and braces[-1] == "`":
@@ -159,8 +179,8 @@ def tokens(body: str):
                 braces.pop()
             t = _TEMPLATE.match(body, end)
             if t is None:
-                add(("BAD", line, False))
-                return out
+                yield "BAD", line, False
+                return
             closed = t["END"] == "`"
             kind = ("TPL" if closed else "THEAD") if text == "`" else ("TTAIL" if closed else "TMID")
             if not closed:
@@ -171,21 +191,30 @@ def tokens(body: str):
             continue
         else:
             if text == "/" or text == "/=":
-                if not (prev in (")", "]", "}", "NAME", "NUMBER", "STRING", "TPL", "REGEX", "PRIVATE", "this", "super", "null", "true", "false", "INC") or prev in KEYWORDS and prev not in _RESERVED and prev not in ("yield", "await", "of")):
+                yield from out  # so that the parser stands where this token is to be read
+                out.clear()
+                divides = can("BIN" if text == "/" else "AOP")
+                if not divides:
                     r = _REGEX.match(body, at)
                     if r is None:
-                        add(("BAD", line, False))
-                        return out
+                        yield "BAD", line, False
+                        return
                     add(("REGEX", line, fresh))
                     fresh, prev, at = False, "REGEX", r.end()
                     continue
+            if text == "(":
+                parens.append(prev)
+            elif text == ")" and parens:
+                closed_after = parens.pop()
             if text == "{":
-                braces.append("{")
+                of_function = prev == "=>" or prev == ")" and closed_after not in _CONTROL
+                braces.append("f" if of_function else "{")
+                inside += of_function
             elif text == "}":
                 if not braces:
-                    add(("BAD", line, False))
-                    return out
-                braces.pop()
+                    yield "BAD", line, False
+                    return
+                inside -= braces.pop() == "f"
             kind = text
             if text in _BIN:
                 kind = "BIN"
@@ -201,4 +230,4 @@ def tokens(body: str):
                 kind = "PREINC" if fresh else "INC"
         add((kind, line, fresh))
         fresh, prev, at = False, kind, end
-    return out
+    yield from out

@@ -23,4 +23,5 @@ def parser(language: str) -> Parser:
 
 def first_error(language: str, body: str) -> tuple[int, str] | None:
     """None if ``body`` parses in ``language``; else (line, token kind) of the first token that no parse can take."""
-    return parser(language).error(_MODULES[language].tokens(body))
+    tokens = _MODULES[language].tokens
+    return parser(language).error((lambda can: tokens(body, can)) if language == "javascript" else tokens(body))

@@ -165,6 +165,8 @@ _TOKEN = re.compile(
     r"(?P<SPACE>[ \t\f]+|\\\n)|(?P<COMMENT>#[^\n]*)|(?P<NL>\n)|(?P<STR>(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?(?:'''|\"\"\"|'|\"))|(?P<NAME>[^\W\d]\w*)|(?P<NUMBER>" + _NUMBER + r")"
     r"|(?P<OP>\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|>>|<<|<=|>=|==|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|[-+*/%@&|^~<>=:;.,()\[\]{}])"
 )
+#: The same with white space before it, for the main loop.
+_SPACED = re.compile(r"[ \t\f]*(?:" + _TOKEN.pattern.replace(r"(?P<SPACE>[ \t\f]+|\\\n)", r"(?P<SPACE>\\\n|\Z)") + ")")
 _BAD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*")
 _AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|or|not)\b")
 _BAD_ESCAPE = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!00(?:10|0[0-9a-fA-F])[0-9a-fA-F]{4})|N(?!\{[^}]+\}))")
@@ -341,7 +343,7 @@ class _Lexer:
     def run(self) -> None:
         s, n, at = self.s, len(self.s), 0
         indents, alts, depth = [0], [0], []
-        match = _TOKEN.match
+        match, match_one, add = _SPACED.match, _TOKEN.match, self.out.append
         start = True
         while at < n:
             if start:
@@ -390,20 +392,38 @@ class _Lexer:
             if m is None:
                 raise _Bad
             kind = m.lastgroup
-            if kind == "NL":
+            if kind == "NAME":
+                text = m["NAME"]
+                if not text.isascii() and not unicodedata.normalize("NFKC", text).isidentifier():
+                    raise _Bad
+                add((_KIND.get(text, "NAME"), self.line, False))
+                at = m.end()
+            elif kind == "OP":
+                text = m["OP"]
+                if text in "([{":
+                    depth.append(text)
+                    if len(depth) > 200:
+                        raise _Bad
+                elif text in ")]}" and (not depth or depth.pop() != _CLOSE[text]):
+                    raise _Bad
+                add((_OPS[text], self.line, False))
+                at = m.end()
+            elif kind == "NL":
                 if not depth:
                     self.emit("NEWLINE")
                     start = True
                 self.line += 1
                 at = m.end()
-            elif kind == "SPACE" or kind == "COMMENT":
-                if m[0] == "\\\n":
+            elif kind == "STR":
+                at = self.string(m.end(), m["STR"])
+            elif kind == "NUMBER":
+                at = self.token(match_one(s, m.start("NUMBER")), depth)
+            else:
+                if m["SPACE"] == "\\\n":
                     self.line += 1
                     if m.end() >= n:
                         raise _Bad
                 at = m.end()
-            else:
-                at = self.token(m, depth)
         if depth:
             raise _Bad
         if not start:

@@ -8,6 +8,8 @@ a shift is taken instead of a reduction, where both accept the same texts.
 
 from __future__ import annotations
 
+from itertools import chain
+
 END = "$end"
 
 
@@ -59,6 +61,11 @@ class Tables:
         for i, (h, _) in enumerate(rules):
             heads.setdefault(h, []).append(i)
         self.rules = [(h, len(b)) for h, b in rules]
+        productive: set[str] = set()
+        while more := {h for h, b in rules if h not in productive and all(x in productive or x not in heads for x in b)}:
+            productive |= more
+        if barren := heads.keys() - productive:  # such as a rule that has the name of the keyword it should begin with
+            raise ValueError(f"rules that derive nothing: {sorted(barren)}")
         # LR(0) states
         closures: dict[frozenset, list] = {}
 
@@ -173,22 +180,66 @@ class Parser:
 
     def __init__(self, tables: Tables, first: dict[str, str] | None = None, virtual: str | None = None, closers: frozenset[str] = frozenset()):
         self.t, self.first, self.virtual, self.closers = tables, first or {}, virtual, closers
+        self.memo: dict[tuple[int, int, str], tuple[int, object]] = {}
 
     def error(self, tokens) -> tuple[int, str] | None:
-        """None if the stream parses, else (line, kind) of the first token that no parse can take."""
-        action, goto, rules = self.t.action, self.t.goto, self.t.rules
+        """None if the stream parses, else (line, kind) of the first token that no parse can take.
+
+        ``tokens`` is a stream, or a function that makes one from ``can``: ``can(kind)`` tells, before each token, whether some parse could
+        take that kind next, for languages whose tokens depend on it.
+        """
+        action, goto, rules, memo = self.t.action, self.t.goto, self.t.rules, self.memo
         first, virtual, closers = self.first, self.virtual, self.closers
         stack = [0]
         heads: list | None = None  # linked stacks (state, rest) while several parses are alive
-        last = 1
-        for kind, line, fresh in self._ended(tokens):
-            last = line or last
+
+        def linked() -> list:
+            if heads is not None:
+                return heads
+            node = None
+            for s in stack:
+                node = (s, node)
+            return [node]
+
+        def can(kind: str) -> bool:
+            return bool(self._step(linked(), (kind,))[0])
+
+        for kind, line, fresh in self._ended(tokens(can)) if callable(tokens) else chain(tokens, ((END, 0, True),)):
+            if heads is None and kind not in first:  # the common case: one parse, one reading of the token
+                top = stack[-1]
+                act = action[top].get(kind)
+                while type(act) is int:
+                    if act > 0:
+                        stack.append(act - 1)
+                        break
+                    head, n = rules[-act]
+                    if n == 1:  # a chain of such reductions depends on what lies under it and the token: remembered
+                        under = stack[-2]
+                        key = (under, top, kind)
+                        hit = memo.get(key)
+                        if hit is None:
+                            state, a = top, act
+                            while type(a) is int and a < 0 and rules[-a][1] == 1:
+                                state = goto[under][rules[-a][0]]
+                                a = action[state].get(kind)
+                            hit = memo[key] = (state, a)
+                        top, act = hit
+                        stack[-1] = top
+                        continue
+                    if n:
+                        del stack[-n:]
+                    top = goto[stack[-1]][head]
+                    stack.append(top)
+                    act = action[top].get(kind)
+                if type(act) is int:
+                    continue
             tried = (first[kind], kind) if kind in first else (kind,)
             inserted = False
             while True:
                 if heads is None:
-                    kind_now = tried[0] if len(tried) > 1 and tried[0] in action[stack[-1]] else tried[-1]
-                    act = action[stack[-1]].get(kind_now)
+                    top = stack[-1]
+                    now = kind if len(tried) == 1 or tried[0] not in action[top] else tried[0]
+                    act = action[top].get(now)
                     while type(act) is int:
                         if act > 0:
                             stack.append(act - 1)
@@ -198,14 +249,11 @@ class Parser:
                             del stack[-n:]
                         top = goto[stack[-1]][head]
                         stack.append(top)
-                        act = action[top].get(kind_now)
+                        act = action[top].get(now)
                     if type(act) is int:
                         break
                     if act is not None:
-                        node = None
-                        for s in stack:
-                            node = (s, node)
-                        heads = [node]
+                        heads = linked()
                 if heads is not None:
                     new, left = self._step(heads, tried)
                     if new:
@@ -221,17 +269,11 @@ class Parser:
                     heads = left or heads
                 if virtual and not inserted and (fresh or kind in closers):
                     inserted = True
-                    start = heads
-                    if start is None:
-                        node = None
-                        for s in stack:
-                            node = (s, node)
-                        start = [node]
-                    new, _ = self._step(start, (virtual,))
+                    new, _ = self._step(linked(), (virtual,))
                     if new:
                         heads = new
                         continue
-                return last, kind
+                return line or (tokens[-1][1] if not callable(tokens) and tokens else 1), kind
         return None
 
     def _ended(self, tokens):
