@@ -74,7 +74,11 @@ class ByteBpe:
         import regex
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            whole = json.load(f)
+        model, before = whole["model"], whole.get("pre_tokenizer") or {}
+        odd = [k for k in ("continuing_subword_prefix", "end_of_word_suffix") if model.get(k)] + [k for k in ("byte_fallback", "ignore_merges") if model.get(k)]
+        if model.get("type", "BPE") != "BPE" or whole.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or odd:
+            raise ValueError(f"{path} is no plain byte-level BPE with the usual split pattern")
         vocab, back = model["vocab"], _printable_bytes()
         self.byte_ids = np.zeros(256, np.int32)
         for ch, b in back.items():
@@ -132,10 +136,10 @@ class ByteBpe:
         return rank, new
 
     def _long(self, ids: np.ndarray) -> np.ndarray:
-        """One long piece: each round merges all places of its minimum-rank pair, from the left."""
+        """One long piece: each round merges all places of its minimum-rank pair, from the left; only the pairs beside them are looked up anew."""
         ids = ids.astype(np.int64)
+        rank, new = self._pairs(ids[:-1], ids[1:])
         while len(ids) > 1:
-            rank, new = self._pairs(ids[:-1], ids[1:])
             least = rank.min()
             if least == _NONE:
                 break
@@ -147,9 +151,11 @@ class ByteBpe:
                 first = at[start][np.cumsum(start) - 1]
                 at = at[(at - first) % 2 == 0]
             ids[at] = new[at[0]]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
+            ids, rank, new = np.delete(ids, at + 1), np.delete(rank, at), np.delete(new, at)
+            made = at - np.arange(len(at))  # where the merged ids stand now
+            beside = np.unique(np.concatenate([made - 1, made]))
+            beside = beside[(beside >= 0) & (beside < len(ids) - 1)]
+            rank[beside], new[beside] = self._pairs(ids[beside], ids[beside + 1])
         return ids
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
