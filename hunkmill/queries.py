@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hunkmill.functions import files as P
 from hunkmill.functions import tokens as T
-from hunkmill.operators import abstraction, cleaning, confidence, diffing, growth, mining, patterns, review, similarity
+from hunkmill.operators import abstraction, cleaning, confidence, diffing, growth, mining, patterns, review, similarity, triggers
 from hunkmill.plans import pipeline
 from hunkmill.sources.tables import table
 
@@ -564,6 +564,51 @@ def quoted_ids(spark, folder):
     return table(spark, folder, "files").select("id", P.quoted_id(F.col("file_name")).alias("quoted"), P.period_of(F.col("merged_at")).alias("period"))
 
 
+# sub-patterns and triggers ------------------------------------------------------------------------------------------------------------
+
+_ANCHORED = """SELECT pattern FROM (SELECT list_filter(p, lambda x, i: i = 1 OR (mask >> (i - 2)) & 1 = 1) AS pattern FROM (
+ SELECT pattern AS p, unnest(range(1, (1 << (len(pattern) - 1)))) AS mask FROM mined_patterns WHERE len(pattern) > 1)) WHERE len(list_filter(pattern, lambda t: t[1:1] IN ('-', '+'))) > 0"""
+
+
+@_query(f"SELECT {_sql_text('pattern')} AS pattern, count(*) AS n FROM ({_ANCHORED}) GROUP BY pattern")
+def anchored_subsequences(spark, folder):
+    found = triggers.counted(triggers.anchored_subsequences(table(spark, folder, "mined_patterns"), "pattern"))
+    return found.select(_text("pattern").alias("pattern"), "n")
+
+
+_COUNTED = "SELECT pattern, count(*) AS n FROM mined_patterns WHERE pattern IS NOT NULL GROUP BY pattern"
+_TRIGGER = "list_filter(pattern, lambda t: t[1:1] <> '+')"
+
+
+@_query(
+    f"""WITH c AS ({_COUNTED}), t AS (SELECT {_TRIGGER} AS trigger, CAST(sum(n) AS BIGINT) AS places FROM c GROUP BY ALL)
+ SELECT {_sql_text('pattern')} AS pattern, n FROM c JOIN t ON {_TRIGGER} = t.trigger WHERE n >= 2 AND n::DOUBLE / places >= 0.5"""
+)
+def confident_patterns(spark, folder):
+    counts = triggers.counted(table(spark, folder, "mined_patterns"))
+    places = counts.groupBy(triggers.trigger_of(F.col("pattern")).alias("pattern")).agg(F.sum("n").alias("n"))
+    return triggers.confident(counts, places, counts, 0.5).select(_text("pattern").alias("pattern"), "n")
+
+
+@_query(
+    """SELECT diff_id, place, before, after FROM (SELECT diff_id, unnest(range(greatest(len(c), len(t)))) AS place, unnest(list_resize(c, greatest(len(c), len(t)))) AS before, unnest(list_resize(t, greatest(len(c), len(t)))) AS after
+ FROM (SELECT diff_id, diff_hunk.condition AS c, diff_hunk.consequent AS t FROM diffs WHERE diff_hunk.condition IS NOT NULL AND diff_hunk.consequent IS NOT NULL))"""
+)
+def line_pairs(spark, folder):
+    d = table(spark, folder, "diffs").select("diff_id", "diff_hunk.*")
+    pairs = F.posexplode(F.arrays_zip(F.col("condition").alias("before"), F.col("consequent").alias("after"))).alias("place", "p")
+    return d.select("diff_id", pairs).select("diff_id", F.col("place").cast("bigint").alias("place"), "p.before", "p.after")
+
+
+@_query(
+    f"""SELECT {_sql_text(_TRIGGER)} AS trigger, count(*) AS n FROM (SELECT DISTINCT pattern FROM mined_patterns WHERE pattern IS NOT NULL) GROUP BY ALL"""
+)
+def trigger_keys(spark, folder):
+    written = F.concat(F.lit("('"), F.array_join("pattern", "', '"), F.lit("')"))
+    keys = table(spark, folder, "mined_patterns").filter("pattern is not null").select("pattern").distinct().select(written.alias("key"))
+    return keys.groupBy(_text(triggers.trigger_of(triggers.parsed_key(F.col("key")))).alias("trigger")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Python's own text matcher: rows only --------------------------------------------------------------------------------------------------
 
 
