@@ -73,8 +73,33 @@ _STRIPPED = f"""SELECT record_id, {{0}} AS a, {{1}} AS b FROM ({_SIDES}) WHERE d
 )
 _KEPT = f"SELECT record_id, min(record_id) OVER (PARTITION BY a, b) AS keep_id FROM (SELECT DISTINCT record_id, a, b FROM ({_STRIPPED}) WHERE a <> '' OR b <> '')"
 
+
+
+def _mined(least: str, sizes: tuple[int, int] = (3, 5)) -> str:
+    """Patterns by distinct change_id, level by level: a pattern's prefix has at least its support."""
+    words = "list_transform(regexp_extract_all(array_to_string(list_filter(coalesce(diff_hunk.{0}, CAST([] AS VARCHAR[])), lambda x: x IS NOT NULL), chr(10)), '[A-Za-z_][A-Za-z0-9_]*'), lambda w: '{1}' || w)"
+    parts = [
+        f"s0 AS MATERIALIZED (SELECT DISTINCT change_id, CAST('' AS VARCHAR) AS prefix, list_concat({words.format('condition', '-')}, {words.format('consequent', '+')}) AS suffix FROM diffs WHERE change_id IS NOT NULL)",
+        f"least AS MATERIALIZED (SELECT {least} AS k FROM diffs)",
+    ]
+    for n in range(1, sizes[1] + 1):
+        gap = "' ' ||" if n > 1 else ""
+        parts.append(f"x{n} AS MATERIALIZED (SELECT change_id, prefix, suffix, unnest(list_distinct(suffix)) AS item FROM s{n - 1})")
+        parts.append(f"f{n} AS MATERIALIZED (SELECT prefix, item, count(DISTINCT change_id) AS support FROM x{n} GROUP BY ALL HAVING count(DISTINCT change_id) >= (SELECT k FROM least))")
+        parts.append(f"s{n} AS MATERIALIZED (SELECT DISTINCT change_id, prefix || {gap} item AS prefix, suffix[list_position(suffix, item) + 1:] AS suffix FROM x{n} JOIN f{n} USING (prefix, item))")
+    union = " UNION ALL ".join(f"SELECT prefix || ' ' || item AS pattern, support FROM f{n}" for n in range(sizes[0], sizes[1] + 1))
+    return f"WITH {', '.join(parts)} {union}"
+
+
+_LEAST = "greatest(8, CAST(ceil(3 * count(DISTINCT change_id) / 100) AS BIGINT))"
+_CODE = "lower(split_part(file_name, '.', -1)) IN ('java', 'js', 'json', 'py')"
+_FLAGGED = f"{_CODE} AND (regexp_matches(file_name, '{produced._FOLDERS}', 'i') OR regexp_matches(file_name, '{produced._ENDINGS}', 'i') AND NOT regexp_matches(file_name, '{produced._NOT_BUNDLE.pattern}', 'i'))"
+
 #: SQL for the problems that SQL can express; the others are tested against brute force or held-out rows in tests/llm.
 SQL = {
+    "p1_found": f"SELECT pattern FROM ({_mined(_LEAST)})",
+    "p1_patterns": _mined(_LEAST),
+    "p4_named_files": " UNION ".join(f"SELECT file_name FROM {t} WHERE {_FLAGGED}" for t in ("files", "diffs", "hunk_records")),
     "p5_found": f"SELECT keep_id, record_id AS copy_id FROM ({_KEPT}) WHERE record_id <> keep_id",
     "p5_copy_counts": f"SELECT keep_id, count(*) AS copies FROM ({_KEPT}) GROUP BY keep_id",
     "p7_found": f"""WITH g AS (SELECT of, id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT of, id, w, unnest(range(1, len(w) - 10)) AS i FROM (
