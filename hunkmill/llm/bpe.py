@@ -70,11 +70,13 @@ class PairTable:
 class ByteBpe:
     """A byte-level BPE encoder; ``encode_pieces`` is vectorised over pieces of similar length."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, text: str | None = None):
         import regex
 
-        with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
+        if text is None:
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+        whole = json.loads(text)
         model, before = whole["model"], whole.get("pre_tokenizer") or {}
         odd = [k for k in ("continuing_subword_prefix", "end_of_word_suffix") if model.get(k)] + [k for k in ("byte_fallback", "ignore_merges") if model.get(k)]
         if model.get("type", "BPE") != "BPE" or whole.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or before.get("use_regex") is False or odd:
@@ -202,9 +204,10 @@ class ByteBpe:
 _loaded: dict[str, ByteBpe] = {}
 
 
-def loaded(path: str) -> ByteBpe:
+def loaded(path: str, text: str | None = None) -> ByteBpe:
+    """The encoder of a vocabulary file, made once a process; ``text`` is the file's content where the file itself may not be there."""
     if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
+        _loaded[path] = ByteBpe(path, text)
     return _loaded[path]
 
 
@@ -215,14 +218,17 @@ def encode_documents(
 
     Defined results: null and empty texts give an empty array; the written forms of special tokens in a text are ordinary text; repeated
     rows are encoded each; an empty table gives an empty result. Extra columns are ignored. One narrow stage, no shuffle.
-    The vocabulary file ``name``.json is read from ``tokenizer_dir`` (default: the environment's HUNKMILL_TOKENIZER_DIR) on each worker.
+    The vocabulary file ``name``.json is read from ``tokenizer_dir`` (default: the environment's HUNKMILL_TOKENIZER_DIR) at the driver and sent
+    to the workers, about 2 MB; a file of another kind of tokenizer is refused.
     """
     path = os.path.join(tokenizer_dir or TOKENIZER_DIR, f"{name}.json")
+    with open(path, encoding="utf-8") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def encode(batches):
         import pyarrow as pa
 
-        model = loaded(path)
+        model = loaded(path, shared.value)
         for batch in batches:
             texts = batch.column(1)
             for lo in range(0, batch.num_rows, 512):  # bounds what one step holds, whatever the batch size
