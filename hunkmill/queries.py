@@ -120,6 +120,21 @@ def prefixspan_ungated(spark, folder):
     return found.select(_text("pattern").alias("pattern"), "support")
 
 
+def weekly_events(spark: SparkSession, folder: str) -> DataFrame:
+    """(tokens): the types of a user's events of a week, in order."""
+    e = table(spark, folder, "events").groupBy("user_id", F.date_trunc("week", "ts").alias("week"))
+    return e.agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type")))["event_type"].alias("tokens"))
+
+
+_WEEKLY = "SELECT list(event_type ORDER BY ts, event_id) AS tokens FROM events GROUP BY user_id, date_trunc('week', ts)"
+
+
+@_query(_unrolled(3, 10, 15, _WEEKLY))
+def prefixspan_events(spark, folder):
+    found = mining.prefix_patterns(weekly_events(spark, folder), min_support=10, cap=15, max_len=3)
+    return found.select(_text("pattern").alias("pattern"), "support")
+
+
 _YEARS = f"SELECT year(merged_at) AS y, tokens FROM ({_SEQ}) WHERE merged_at IS NOT NULL AND len(tokens) > 0"
 
 
