@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,8 +59,10 @@ def distance(a: str, b: str, limit: int = 1) -> int:
 
 
 def forms(name: str) -> list[tuple[str, str]]:
-    """The readings (family, given) of a spelling; of an organisation (core, "#" and its kind). A given name that is cut off keeps its dot."""
+    """The readings (family, given) of a spelling; of an organisation (core, "#" and its kind); of what holds no family (words, "="). A family
+    may have any length from two letters. A given name that is cut off keeps its dot."""
     text = re.sub(r"[\[(][^\])]*[\])]|\s-\s.*$", " ", name)
+    text = text if re.search(r"[^\W_]", text) else name
     text = re.sub(r"(?<=[^\W\d_A-Z])(?=[A-ZÀ-ÖØ-ÞŁŚŽ][^\W\d_A-Z])", " ", unicodedata.normalize("NFC", text))
     words = re.findall(r"[^\W_]+", fold(text))
     short = "gmbh" in words or text.rstrip().endswith(".")
@@ -72,35 +74,44 @@ def forms(name: str) -> list[tuple[str, str]]:
         elif w not in _NOISE and not (kind and any(distance(w, x) <= 1 for x in ("services", "lab"))):
             rest.append(w)
     if kind or _BODY & set(words):
-        return [("".join(rest), "#" + kind)] if rest else []
+        return [("".join(rest or [w for w in words if w not in _BODY | {"the"}] or words), "#" + kind)]
+    if len(words) == 1 and len(words[0]) > 2:
+        return [(words[0][1:], words[0][0])]
+    spelled = [(" ".join(words), "=")] if words else []
     if len(words) > 2:
-        words = [w for w in words if len(w) > 1]
-    if len(words) == 1:
-        return [(words[0][1:], words[0][0])] if len(words[0]) >= 5 else []
+        long = [w for w in words if len(w) > 1]
+        words = long if len(long) > 1 else [next(w for w in words if len(w) == 1), *long]
     if len(words) < 2:
-        return []
+        return spelled
     cut_off = {fold(w) for w in re.findall(r"([^\W_]{2,})\.(?=\s|$)", text)}
     first, last = " ".join(words[:-1]), words[-1]
     both = [(last, first), (first, last)] if len(words) == 2 else [(last, first), (" ".join(words[1:]), words[0])]
-    return sorted({(f, g + "." if g in cut_off else g) for f, g in both if len(f) >= 4 and f not in cut_off})
+    if len(words) > 2 and "," in text:
+        before, after = ([w for w in re.findall(r"[^\W_]+", fold(x)) if len(w) > 1] for x in text.split(",", 1))
+        both += [(f, " ".join(after)) for f in (" ".join(before), *before[-1:]) if after]
+    return sorted({(f, g + "." if g in cut_off else g) for f, g in both if len(f) > 1 and f not in cut_off}) or spelled
 
 
 def segments(word: str) -> list[str]:
     """What the inverted index holds of a word: its two halves, each with the word's length and the half's number.
 
     One edit leaves one of the two halves whole (pigeonhole), moved by one place at most; only a swap of the two letters at the cut breaks both,
-    for which the word without these two letters is held as well.
+    for which the word with these two in the order of the alphabet is held as well.
     """
     n = len(word)
     h = n // 2
-    return [f"{n}a{word[:h]}", f"{n}b{word[h:]}", f"{n}x{word[: h - 1]}{word[h + 1 :]}"]
+    return [f"{n}a{word[:h]}", f"{n}b{word[h:]}", _swapped(word)]
+
+
+def _swapped(word: str) -> str:
+    h = max(1, len(word) // 2)
+    return f"{len(word)}x{word[: h - 1]}{''.join(sorted(word[h - 1 : h + 1]))}{word[h + 1 :]}"
 
 
 def lookups(word: str) -> list[str]:
     """The segments of words one edit away that are no longer than ``word``: its own substrings, shifted by up to one place."""
     m = len(word)
-    h = m // 2
-    out = {f"{m}x{word[: h - 1]}{word[h + 1 :]}"}
+    out = {_swapped(word)}
     for n in (m - 1, m):
         h = n // 2
         if n > 1:
@@ -111,8 +122,8 @@ def lookups(word: str) -> list[str]:
 
 def given_keys(given: str, short: dict[str, set[str]]) -> list[str]:
     """Letters of which two given names that ``same_given`` accepts share one: the first two of the name and of its long forms, and the
-    initials of its short forms. An organisation's kind is its only key."""
-    if given[:1] == "#":
+    initials of its short forms. An organisation's kind is its only key, and so is "="."""
+    if given[:1] in ("#", "="):
         return [given]
     given = given.rstrip(".")
     long = {given, *short.get(given, ())}
@@ -123,7 +134,7 @@ def same_given(a: str, b: str, short: dict[str, set[str]], known: bool) -> bool:
     """Whether two given names or initials may be one person's; ``known``: both are usual names, so that a slip is ruled out."""
     if a == b:
         return True
-    if a[0] == "#" or b[0] == "#":
+    if a[0] in "#=" or b[0] in "#=":
         return False
     if a[-1] == "." or b[-1] == ".":
         stem, whole = (a[:-1], b) if a[-1] == "." else (b[:-1], a)
@@ -175,10 +186,12 @@ def variants(names: DataFrame, given_names: DataFrame) -> DataFrame:
     3. The distinct readings of the same or of neighbouring families meet if their given names share one of ``given_keys``, and a pair is kept
        if the given names agree: equal, a short or cut-off form, an initial, or one edit apart. Spellings hang on their readings, so many
        spellings of one reading make as many edges, not pairs. Two families or given names that are each usual are never taken for a slip of each other.
+       One edit of a family of under four letters counts only beside given names that agree without one; one changed letter of two is another name.
     4. Full names are closed to entities; a spelling with an initial joins one only if no second entity of its family (or, if
        there is none, of a neighbouring one) would do as well.
 
-    Defined results: null, blank and unreadable spellings (no two words, under five letters) give no pair.
+    Defined results: null and blank spellings and those without a letter or digit give no pair; what has no family (a word of under three letters,
+    initials alone) pairs with the same letters in other writing. A name whose words are all given names is read with either as its family.
     """
     short = short_forms((r[0], r[1]) for r in given_names.select("given_name", "short_form").distinct().collect() if r[0] and r[1])
     listed = {*short, *(g for s in short.values() for g in s)}
@@ -201,9 +214,9 @@ def variants(names: DataFrame, given_names: DataFrame) -> DataFrame:
     usual = cut(usual)
     turned = usual.select(F.col("given").alias("family"), F.col("usual").alias("family_usual"))
     rows = rows.join(usual, "given").join(turned, "family", "left").join(spellings, "family")
-    # a given name is not read as a family
-    rows = rows.filter(~F.coalesce("family_usual", F.lit(False)) | F.col("usual") & ~is_listed("family")).drop("family_usual")
-    rows = cut(rows)
+    # a given name is not read as a family, if the spelling has another reading
+    rows = rows.withColumn("kept", ~F.coalesce("family_usual", F.lit(False)) | F.col("usual") & ~is_listed("family")).drop("family_usual")
+    rows = cut(rows.withColumn("any", F.max("kept").over(Window.partitionBy("name"))).filter("kept or not any").drop("kept", "any"))
     # families: each once, whatever the number of spellings that hold it
     families = rows.select("family", "spellings").distinct()
     held = families.select(F.explode(F.udf(segments, "array<string>", useArrow=True)("family")).alias("key"), F.col("family").alias("family_a"), F.col("spellings").alias("sa"))
@@ -219,7 +232,11 @@ def variants(names: DataFrame, given_names: DataFrame) -> DataFrame:
     left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
     right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in columns])
     alike = left.withColumnRenamed("family_a", "f").join(right.withColumnRenamed("family_b", "f"), ["f", "key"]).filter("node_a < node_b")
-    other = left.join(slips, "family_a").join(right, ["family_b", "key"])
+    other = left.join(slips, "family_a").join(right, ["family_b", "key"]).filter("given_a != '=' and given_b != '='")
+    # a slip in a family of under four letters counts only beside given names, not initials, that agree without a slip; two letters may be swapped
+    other = other.withColumn("brief", F.expr("least(length(family_a), length(family_b)) < 4 and left(given_a, 1) != '#'"))
+    other = other.filter("not brief or not one_a and not one_b and (greatest(length(family_a), length(family_b)) > 2 or family_a = reverse(family_b))")
+    other = other.withColumns({c: F.col(c) | F.col("brief") for c in ("usual_a", "usual_b")})
     taken = [f"{c}_{x}" for x in "ab" for c in ("node", "given", "usual", "one")]
     met = alike.select(*taken, F.lit(True).alias("exact")).union(other.select(*taken, F.lit(False))).distinct()
     agree = F.udf(lambda a, b, known: same_given(a, b, short, known), "boolean", useArrow=True)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -58,3 +59,24 @@ def test_empty_tables_and_odd_values(spark):
     assert names.variants(empty, short).collect() == []
     odd = spark.createDataFrame([("",), (" ",), ("x",), (None,), ("é" * 5000,), ("Ann Lo", ), ("Ann Lo",)], "name string")
     assert names.variants(odd, short).collect() == []
+
+
+def test_short_families_and_other_spellings_that_had_no_reading(spark):
+    groups = [
+        ["Wei Li", "wei li", "Li, Wei", "W. Li", "wli"], ["Hana Lee", "Lee, Hana", "Hana Leee"], ["Hana Lu"], ["Mira Lu", "MIRA LU"], ["bob", "BOB"], ["jo", "Jo"], ["an"],
+        ["K. J. Garmozap", "Garmozap, K. J.", "Katherine Garmozap", "Katherine Anne Garmozap", "Garmozap, Katherine Anne"],
+        ["Michael Thomas", "Thomas, Michael", "Mike Thomas", "M. Thomas"], ["Cloud Services", "The Cloud Services Team"], ["(Ann Oz)", "ann oz"], ["???"],
+    ]
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+    fields = spark.createDataFrame([(x,) for g in groups for x in g], "name string")
+    short = spark.createDataFrame([("Michael", "Mike"), ("Thomas", "Tom")], "given_name string, short_form string")
+    assert {tuple(r) for r in names.variants(fields, short).collect()} == want
+
+
+def test_short_words_one_edit_apart_meet_in_the_index():
+    words = ["".join(w) for n in (2, 3, 4) for w in itertools.product("abc", repeat=n)]
+    held, asked = ({w: set(f(w)) for w in words} for f in (names.segments, names.lookups))
+    for a, b in itertools.combinations(words, 2):
+        short, long = sorted((a, b), key=len)
+        if names.distance(a, b) == 1:
+            assert held[short] & asked[long] or len(a) == len(b) and held[long] & asked[short], (a, b)
