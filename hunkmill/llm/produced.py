@@ -12,13 +12,21 @@ from pyspark.sql import functions as F
 
 EXTENSIONS = frozenset(("py", "js", "java", "json"))
 
-#: Path rules: folders of other people's or produced code, and name endings that tools give. ``vendor_admin``, ``external_ports``,
-#: ``generators`` and ``lockfile.py`` are ordinary names and match none.
+#: Path rules for columns and SQL, which see only file names: folders of other people's or produced code, and name endings that tools give.
+#: ``vendor_admin``, ``external_ports``, ``generators`` and ``lockfile.py`` are ordinary names and match none.
 _FOLDERS = r"(^|/)(_?vendor|vendored|third[_-]?party|3rd[_-]?party|external|node_modules|deps|site-packages|bower_components|gen|generated)/"
 _ENDINGS = r"([._-](min|bundle)|[._](generated|autogen|gen)|_pb2|_pb2_grpc|_wire)\.(py|js|java|json)$"
-VENDORED, PRODUCED = re.compile(_FOLDERS, re.I), re.compile(_ENDINGS, re.I)
 _NOT_BUNDLE = re.compile(r"_bundle\.[a-z]+$", re.I)
 
+#: The same rules as patterns of an automaton for the files themselves, and ``bundled``, ``autogen`` and ``dist``, which the SQL lacks.
+FOLDERS = (
+    "vendor", "_vendor", "vendored", "thirdparty", "third_party", "third-party", "3rdparty", "3rd_party", "3rd-party", "external", "node_modules", "deps",
+    "site-packages", "bower_components", "gen", "generated", "bundled", "autogen", "dist",
+)
+ENDINGS = (
+    ".min", "_min", "-min", ".bundle", "-bundle", ".generated", "_generated", ".autogen", "_autogen", ".gen", "_gen", "_pb2", "_pb2_grpc", "_wire",
+)
+
 #: What a tool or a copier writes at the start of a file; ``%`` stands for a version number. All parts of one tuple must stand in one comment.
 MARKERS = (
     ("@generated",), ("generated by", "edit"), ("generated by", "changes will be lost"), ("autogenerated file",), ("auto-generated file",),
@@ -73,6 +81,8 @@ class Automaton:
 _PARTS = sorted({p for m in MARKERS for p in m})
 _RULES = [frozenset(_PARTS.index(p) for p in m) for m in MARKERS]
 _AUTOMATON = Automaton(_PARTS)
+#: Over a path between a slash and a zero, so that a folder stands between slashes and an ending at the end.
+_PATHS = Automaton([f"/{f}/" for f in FOLDERS] + [f"{e}.{x}\0" for e in ENDINGS for x in sorted(EXTENSIONS)])
 
 
 def marked(body: str) -> bool:
@@ -93,8 +103,8 @@ def marked(body: str) -> bool:
 
 
 def path_rule(path: str) -> bool:
-    name = path.rsplit("/", 1)[-1]
-    return bool(VENDORED.search(path) or PRODUCED.search(name) and not _NOT_BUNDLE.search(name))
+    """Whether a folder or the ending of ``path`` says that it was produced or copied, in any letter case: all rules in one pass."""
+    return bool(_PATHS.find("/" + path.lower().replace("\0", " ") + "\0"))
 
 
 def minified(body: str, ext: str) -> bool:
@@ -158,7 +168,7 @@ def not_by_hand(sources: DataFrame) -> DataFrame:
 
 
 def name_flag(file_name: Column) -> Column:
-    """The path rules as a column, for tables that hold only file names (diffs, hunk_records)."""
+    """The path rules of the SQL as a column, for tables that hold only file names (diffs, hunk_records)."""
     ending = file_name.rlike("(?i)" + _ENDINGS) & ~file_name.rlike("(?i)" + _NOT_BUNDLE.pattern)
     code = F.lower(F.substring_index(file_name, ".", -1)).isin(*sorted(EXTENSIONS))
     return F.coalesce(code & (file_name.rlike("(?i)" + _FOLDERS) | ending), F.lit(False))

@@ -1,4 +1,6 @@
 import base64
+import random
+import re
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +30,19 @@ def test_flags_and_spares():
     assert sorted(r[0] for r in got.collect()) == list(range(len(flagged)))
     names = spark.createDataFrame([("vendor/a.py",), ("vendor/a.py",), ("a/b.min.js",), ("a/b.py",), (None,)], "file_name string")
     assert sorted(r[0] for r in produced.flagged_names(names, names).collect()) == ["a/b.min.js", "vendor/a.py"]
+
+
+def test_paths_go_through_the_automaton_and_give_what_the_expressions_give():
+    rng = random.Random(5)
+    words = ["vendor", "_Vendor", "vendor_admin", "third-party", "3RDparty", "external_ports", "gen", "generators", "a", "", "x.min.js", "x_bundle.js", "x-bundle.js", "a_pb2.py", "a.gen.JAVA", "a_wire.json", "a.min.js.txt", "min.js", "a_pb2"]
+    folders, endings, bundle = (re.compile(x, re.I) for x in (produced._FOLDERS, produced._ENDINGS, produced._NOT_BUNDLE.pattern))
+    for _ in range(5000):
+        path = "/".join(rng.choices(words, k=rng.randint(1, 4)))
+        want = bool(folders.search(path) or endings.search(path) and not bundle.search(path))
+        assert produced.path_rule(path) == want == bool(produced._PATHS.find(f"/{path.lower()}\0")), path
+
+
+def test_copies_in_bundled_and_build_output_are_flagged():
+    flagged = ["p/bundled/q/base.py", "BUNDLED/q.json", "p/static/dist/a.js", "p/autogen/a.java"]
+    spared = ["p/bundle/a.py", "p/bundled.py", "p/unbundled/a.py", "p/distance/a.js", "p/dist.js", "p/autogenerate/a.py"]
+    assert [p for p in flagged + spared if not produced.by_hand(p, HAND)] == flagged
